@@ -171,6 +171,38 @@ class _EcmaGrammar(Grammar):
         return frozenset(got)
 
 
+def _holes(t: str) -> list[str]:
+    """The texts of the ${...} of a template literal."""
+    found, i = [], 1
+    while i < len(t) - 1:
+        if t[i] == "\\":
+            i += 2
+        elif t.startswith("${", i):
+            j = _hole_end(t, i + 2)
+            found.append(t[i + 2 : j])
+            i = j + 1
+        else:
+            i += 1
+    return found
+
+
+def _hole_end(t: str, j: int) -> int:
+    depth = 0
+    while j < len(t) and (depth or t[j] != "}"):
+        c = t[j]
+        if c in "\"'" and (m := re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'").match(t, j)):
+            j = m.end()
+        elif c == "`":
+            j += 1
+            while j < len(t) and t[j] != "`":
+                j = j + 2 if t[j] == "\\" else _hole_end(t, j + 2) + 1 if t.startswith("${", j) else j + 1
+            j += 1
+        else:
+            depth += {"{": 1, "}": -1}.get(c, 0)
+            j += 1
+    return j
+
+
 class Ecma(Lexer):
     _OPS = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
 
@@ -204,7 +236,7 @@ class Ecma(Lexer):
         if c in "\"'":
             return char["STR"] if len(t) > 1 else "\x01"
         if c == "`":
-            return char["TPL"] if len(t) > 1 else "\x01"
+            return char["TPL"] if len(t) > 1 and all(map(self._hole, _holes(t))) else "\x01"
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
             return char["NUM"] if re.fullmatch(_NUM + "n?", t) else "\x01"
         if t in char and t not in ("ID", "NUM", "STR", "TPL", "REGEX", "PRIV", "KW"):
@@ -219,6 +251,10 @@ class Ecma(Lexer):
             return char["PRIV"]
         return "\x01"
 
+    def _hole(self, inner: str) -> bool:
+        """The text of ${...} must be an expression; a bracket that closes one outside fits only one of two kinds of brackets."""
+        return self.valid(f"({inner}\n);") and (")" not in inner or self.valid(f"a[{inner}\n];"))
+
     def valid(self, text: str) -> bool:
         if text.startswith("#!"):
             text = text.partition("\n")[2]
@@ -253,16 +289,78 @@ class Python(Lexer):
         )
         super().__init__(g, rx, set(self.KEYWORDS))
         self.nl = g.char["NL"]
+        #: widths of an indentation with tabs of 8 and of 1
+        self.indents: dict[tuple[int, int], int] = {}
+
+    def _field(self, t: str, i: int, depth: int = 0) -> int:
+        """The position after the replacement field that opens at i; -1 if it is no field."""
+        j, stack, quote = i + 1, [], re.compile(r"'''.*?'''|\"\"\".*?\"\"\"|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"", re.S)
+        while j < len(t):
+            c = t[j]
+            if c in "\"'" and (m := quote.match(t, j)):
+                j = m.end()
+                continue
+            if c in "([{":
+                stack.append(")]}"["([{".index(c)])
+            elif stack and c == stack[-1]:
+                stack.pop()
+            elif c in ")]" or c == "}" and stack:
+                return -1
+            elif not stack and (c in "}:" or c == "!" and t[j + 1 : j + 2] != "="):
+                break
+            j += 1
+        expr = t[i + 1 : j]
+        expr = re.sub(r"(?<![=!<>])=\s*$", "", expr)
+        if j >= len(t) or not expr.strip() or depth > 3 or not self.valid(f"({expr}\n)\n"):
+            return -1
+        if t[j] == "!":
+            m = re.compile(r"!\s*[sra]\s*(?=[:}])").match(t, j)
+            if not m:
+                return -1
+            j = m.end()
+        if t[j] == ":":
+            j += 1
+            while j < len(t) and t[j] != "}":
+                j = self._field(t, j, depth + 1) if t[j] == "{" else j + 1
+                if j < 0:
+                    return -1
+        return j + 1 if j < len(t) else -1
+
+    def _fstring(self, t: str) -> bool:
+        """Whether each {...} of an f-string holds an expression, and no brace stands alone."""
+        m = re.match(r"(\w*)('''|\"\"\"|'|\")", t)
+        raw, body = "r" in m.group(1).lower(), t[m.end() : len(t) - len(m.group(2))]
+        i = 0
+        while i < len(body):
+            c = body[i]
+            if c == "\\" and not raw:
+                n = re.compile(r"\\N\{[^{}]*\}").match(body, i)
+                i = n.end() if n else i + 1 + (body[i + 1 : i + 2] not in ("{", "}"))
+            elif body.startswith(("{{", "}}"), i):
+                i += 2
+            elif c == "}":
+                return False
+            elif c == "{":
+                i = self._field(body, i)
+                if i < 0:
+                    return False
+            else:
+                i += 1
+        return True
 
     def kind(self, t: str) -> str:
         c, char = t[0], self.g.char
         if c == "\n":
-            return "\x02" + chr(0xE000 + min(0xFFE, len(t[1:].replace("\f", "").expandtabs(8))))
+            blanks = t[1:].replace("\f", "")
+            return "\x02" + chr(0xE000 + self.indents.setdefault((len(blanks.expandtabs(8)), len(blanks)), len(self.indents)))
         if c == "#" or t == "\\\n":
             return ""
         if t in char and t not in ("ID", "NUM", "STR", "NL"):
             return char[t]
         if t[-1] in "\"'":
+            if "{" in t or "}" in t:
+                if "f" in re.match(r"\w*", t).group().lower() and not self._fstring(t):
+                    return "\x01"
             return char["STR"] if len(t) > 1 else "\x01"
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
             if not re.fullmatch(_NUM + "[jJ]?", t) or re.fullmatch(r"0[0-9_]*[1-9][0-9_]*", t):
@@ -274,6 +372,9 @@ class Python(Lexer):
 
     def valid(self, text: str) -> bool:
         text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
+        if len(self.indents) > 3000:
+            self.indents.clear()
+            self.cache.clear()
         s = "".join(self.chars("\n" + text))
         if "\x01" in s or "\x00" in text:
             return False
@@ -282,16 +383,19 @@ class Python(Lexer):
             s = g.reduce(s)
         except Rejected:
             return False
-        out, stack = [], [0]
+        widths = list(self.indents)
+        out, stack = [], [(0, 0)]
         for line in s.split("\x02")[1:]:
             body = line[1:]
             if not body:
                 continue
-            indent = ord(line[0]) - 0xE000
-            if indent > stack[-1]:
+            indent = widths[ord(line[0]) - 0xE000]
+            if indent[0] > stack[-1][0]:
+                if indent[1] <= stack[-1][1]:
+                    return False
                 stack.append(indent)
                 out.append(g.brackets["{"])
-            while indent < stack[-1]:
+            while indent[0] < stack[-1][0]:
                 stack.pop()
                 out.append(g.brackets["}"])
             if indent != stack[-1]:
@@ -712,7 +816,10 @@ class Bash:
             elif c == "$":
                 i = self._dollar(t, i)
             elif c in "<>" and t[i + 1 : i + 2] == "(":
-                i = self._paren(t, i + 1)
+                j = self._paren(t, i + 1)
+                if not self._accept(t[i + 2 : j - 1]):
+                    raise Rejected
+                i = j
             elif c in "?*+@!" and t[i + 1 : i + 2] == "(":
                 i = self._paren(t, i + 1)
             elif c in self._META:
@@ -721,6 +828,92 @@ class Bash:
                 i += 1
         return i
 
+    def _array(self, t: str, i: int) -> int:
+        """i is at the parenthesis of an array literal, which holds words, line ends and remarks only."""
+        i += 1
+        while i < len(t):
+            if t[i] == ")":
+                return i + 1
+            if t[i] in " \t\n":
+                i += 1
+            elif t.startswith("\\\n", i):
+                i += 2
+            elif t[i] == "#":
+                j = t.find("\n", i)
+                i = len(t) if j < 0 else j
+            else:
+                j = self._word(t, i)
+                if j == i:
+                    raise Rejected
+                i = j
+        raise Rejected
+
+    _BINARY = {"==", "=", "!=", "=~", "<", ">", "-eq", "-ne", "-lt", "-le", "-gt", "-ge", "-nt", "-ot", "-ef"}
+
+    def _cond(self, t: str, i: int) -> int:
+        """i is behind [[; the position after the ]] that ends the condition."""
+
+        def blank(i: int, lines: bool = True) -> int:
+            return re.compile(r"(?:[ \t\n]|\\\n)*" if lines else r"(?:[ \t]|\\\n)*").match(t, i).end()
+
+        def word(i: int) -> int:
+            j = self._word(t, i)
+            if j == i or t[i:j] == "]]":
+                raise Rejected
+            return j
+
+        def regex(i: int) -> int:
+            j, depth = i, 0
+            while j < len(t) and (depth or t[j] not in " \t\n"):
+                c = t[j]
+                if c == "\\":
+                    j += 2
+                elif c == "[" and (m := re.compile(r"\[\^?\]?(?:\[:\w+:\]|[^\]\s$\"'])*\]").match(t, j)):
+                    j = m.end()
+                elif c in "'\"$`":
+                    j = {"'": self._single, '"': self._double, "$": self._dollar, "`": self._back}[c](t, j)
+                else:
+                    depth += {"(": 1, ")": -1}.get(c, 0)
+                    if depth < 0:
+                        break
+                    j += 1
+            if j == i or depth > 0 or t[i:j] == "]]":
+                raise Rejected
+            return j
+
+        def term(i: int) -> int:
+            i = blank(i)
+            if t.startswith("(", i):
+                i = blank(either(i + 1))
+                if t[i : i + 1] != ")":
+                    raise Rejected
+                return i + 1
+            j = word(i)
+            w = t[i:j]
+            if w == "!":
+                return term(j)
+            if re.fullmatch(r"-[a-hknoprstuvwxzGLNORS]", w):
+                return word(blank(j, False))
+            k = blank(j, False)
+            op = t[k] if t[k : k + 1] in ("<", ">") else t[k : self._word(t, k)]
+            if op not in self._BINARY:
+                return j
+            k = blank(k + len(op), False)
+            return regex(k) if op == "=~" else word(k)
+
+        def either(i: int) -> int:
+            i = term(i)
+            while t.startswith(("&&", "||"), blank(i)):
+                i = term(blank(i) + 2)
+            return i
+
+        i = blank(i)
+        if not t.startswith("]]", i):  # bash takes an empty condition
+            i = blank(either(i))
+        if not re.compile(r"\]\](?=[\s;&|)<>]|\Z)").match(t, i):
+            raise Rejected
+        return i + 2
+
     def _lex(self, t: str) -> str:
         ch, br = self.g.char, self.g.brackets
         out: list[str] = []
@@ -813,11 +1006,9 @@ class Bash:
                     raise Rejected
                 after = out[-1] if out else ""
                 if w == "[[" and command:
-                    m = re.compile(r"(?:[^\]'\"]|'[^']*'|\"(?:[^\"\\]|\\.)*\"|\](?!\]))*?\s\]\](?=[\s;&|)]|$)", re.S).match(t, j)
-                    if not m:
-                        raise Rejected
+                    k = self._cond(t, j)
                     out.append(ch["COND"])
-                    i, command = m.end(), False
+                    i, command = k, False
                     continue
                 name = re.match(r"[A-Za-z_]\w*(?:\[[^\]]*\])?\+?=", w)
                 if command and (w in self.RESERVED or w in "{}") and w != "in":
@@ -834,7 +1025,7 @@ class Bash:
                     command = False
                 elif name:
                     if t.startswith("(", j) and j - i == name.end():
-                        k = self._paren(t, j)
+                        k = self._array(t, j)
                         out.append(ch["ASSIGN"])
                         i = k
                         continue
