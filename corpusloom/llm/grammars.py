@@ -307,7 +307,7 @@ AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '
 Compound = 'if' NExpr Suite ('elif' NExpr Suite)* ('else' Suite)? | 'while' NExpr Suite ('else' Suite)? | 'async'? 'for' Exprs 'in' Exprs Suite ('else' Suite)?
          | 'try' Suite (Except+ ('else' Suite)? ('finally' Suite)? | 'finally' Suite) | 'async'? 'with' WithItems Suite | Deco* ('async'? 'def' Id TPs? Params ('->' Expr)? Suite | 'class' Id TPs? Args? Suite) ;
 Deco = '@' NExpr NL ;
-Except = 'except' '*'? (Exprs ('as' Id)?)? Suite ;
+Except = 'except' ('*'? Expr ('as' Id)?)? Suite ;
 WithItems = WithItem (',' WithItem)* | WithParen ;
 WithItem = Expr ('as' Target)? ;
 WithParen := '(' WithItem (',' WithItem)* ','? ')' ;
@@ -316,10 +316,20 @@ Suite = ':' (Simple NL | NL Body) ;
 Body := '{' LineN+ '}' ;
 TPs := '[' TPar (',' TPar)* ','? ']' ;
 TPar = ('*' | '**')? Id (':' Expr)? ('=' Expr)? ;
-Params := '(' (PItem (',' PItem)*)? ','? ')' ;
-PItem = Id (':' Expr)? ('=' Expr)? | '*' (Id (':' '*'? Expr)?)? | '**' Id (':' Expr)? | '/' ;
-LParams = LItem (',' LItem)* ','? ;
-LItem = Id ('=' Expr)? | '*' Id? | '**' Id | '/' ;
+Params := '(' (PList ','?)? ')' ;
+PList = PBares (',' PDefs)? (',' PRest)? | PDefs (',' PRest)? | PRest ;
+PBares = PBare (',' (PBare | '/'))* ;
+PDefs = PDef (',' (PDef | '/'))* ;
+PBare = Id (':' Expr)? ;
+PDef = Id (':' Expr)? '=' Expr ;
+PRest = '*' (Id (':' '*'? Expr)?)? (',' (PBare | PDef))* (',' PKeys)? | PKeys ;
+PKeys = '**' Id (':' Expr)? ;
+LParams = LList ','? ;
+LList = LBares (',' LDefs)? (',' LRest)? | LDefs (',' LRest)? | LRest ;
+LBares = Id (',' (Id | '/'))* ;
+LDefs = LDef (',' (LDef | '/'))* ;
+LDef = Id '=' Expr ;
+LRest = '*' Id? (',' (Id | LDef))* (',' '**' Id)? | '**' Id ;
 Match = 'match' Exprs ':' NL Cases ;
 Cases := '{' Case+ '}' ;
 Case = 'case' Pats ('if' NExpr)? Suite ;
@@ -355,8 +365,11 @@ KV = Expr ':' Expr | '**' Bin ;
 CompFor = 'async'? 'for' Exprs 'in' Or CompIter* ;
 CompIter = 'async'? 'for' Exprs 'in' Or | 'if' CExpr ;
 CExpr = Or | Id ':=' Expr | 'lambda' LParams? ':' Expr ;
-Args := '(' (Arg (',' Arg)*)? ','? ')' | '(' NExpr CompFor ')' ;
-Arg = NExpr | Id '=' Expr | '*' Expr | '**' Expr | NExpr CompFor ;
+Args := '(' (AList ','?)? ')' | '(' NExpr CompFor ')' ;
+AList = APos (',' APos)* (',' AKey)* (',' ADicts)? | AKey (',' AKey)* (',' ADicts)? | ADicts ;
+APos = NExpr | '*' Expr ;
+AKey = Id '=' Expr | '*' Expr ;
+ADicts = '**' Expr (',' (Id '=' Expr | '**' Expr))* ;
 Index := '[' (Sub (',' Sub)*) ','? ']' ;
 Sub = NExpr | Star | Expr? ':' Expr? (':' Expr?)? ;
 """

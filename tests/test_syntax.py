@@ -35,3 +35,15 @@ def test_python(text):
 def test_templates(lang):
     assert all(valid(lang, f"const x = `{t}`;\n") for t in ("a", "${a}", "${a + `b ${c}`}", "${f({ a: 1 })}", "\\${a +}", "${a, b}"))
     assert not any(valid(lang, f"const x = `{t}`;\n") for t in ("${a +}", "${}", "${a) + (b}", "x ${ `${b +}` }"))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "try:\n    a\nexcept A, e:\n    b\n", "try:\n    a\nexcept (A, B) as e:\n    b\n", "try:\n    a\nexcept:\n    b\n", "try:\n    a\nexcept *A as e:\n    b\n",
+        "f(a=1, b)\n", "f(a, *b, c=1, *d, **e, g=2)\n", "f(**a, *b)\n", "f(a, b=1,)\n", "f(x for x in y)\n", "f(*a, b)\n", "f(a := 1, b)\n", "f()\n",
+        "def f(a=1, b): pass\n", "def f(a, /, b=1, *c, d, e=2, **g): pass\n", "def f(a=1, /, b=2): pass\n", "def f(*, a, b=1): pass\n", "def f(**a, b): pass\n", "def f(a: int, b: int = 1,): pass\n", "x = lambda a=1, b: a\n", "x = lambda a, b=1, *c, **d: a\n", "class A(B, metaclass=C): pass\n",
+    ],
+)
+def test_python_clauses_and_lists(text):
+    test_python(text)
