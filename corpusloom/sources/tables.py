@@ -45,16 +45,22 @@ def latest(df: DataFrame, keys: list[str], order: str, values: list[str]) -> Dat
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder the cluster names; sets a local folder only where none is set."""
+    """Cuts lineage by a checkpoint in the shared folder the cluster names.
+
+    A folder of this machine is taken only in local mode with none set, as in tests; a cluster without one is an error.
+    """
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Splits a scan of few files over all cores before Python work, so that no task holds a large share of the rows."""
-    sc = df.sparkSession.sparkContext
-    return df.repartition(max(least or 0, sc.defaultParallelism * 4))
+def spread(df: DataFrame) -> DataFrame:
+    """Splits a scan of fewer parts than there are cores, so that Python work uses them all; a larger scan stays where it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
