@@ -51,6 +51,18 @@ def p4_pieces(spark, folder):
     return all_pieces(table(spark, folder, "chunks"), table(spark, folder, "source_files"))
 
 
+def p7_found(spark, folder):
+    from corpusloom.llm.alike import alike_pairs
+
+    return alike_pairs(table(spark, folder, "chunks"))
+
+
+def p7_groups(spark, folder):
+    from corpusloom.llm.alike import alike_groups
+
+    return alike_groups(table(spark, folder, "chunks"))
+
+
 def p8_ids(spark, folder):
     from corpusloom.llm.tokenizer import encode
 

@@ -293,7 +293,7 @@ def lines_of(text: str, places: list[tuple[int, int, str]]) -> list[int]:
 def _scan(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for id_, at, ct, text in zip(b.id, b.at, b.content_type, b.text):
+        for id_, at, ct, text in zip(b.id, b["at"], b.content_type, b.text):
             p = spans(text, ct) if text else []
             rows.append((id_, at, lines_of(text, p) if p else [], redact(text, p) if p and with_text else None))
         yield pd.DataFrame(rows, columns=["id", "at", "lines", "redacted"])
@@ -302,7 +302,7 @@ def _scan(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataF
 def _scan_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for id_, at, path in zip(b.id, b.at, b.text):
+        for id_, at, path in zip(b.id, b["at"], b.text):
             p = path_spans(path) if path else []
             rows.append((id_, at, bool(p), redact(path, p) if p else None))
         yield pd.DataFrame(rows, columns=["id", "at", "hit", "redacted"])
