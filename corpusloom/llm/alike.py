@@ -158,16 +158,56 @@ def _prefixes(table, similarity: float, tile: int):
     return run
 
 
-def _compare(similarity: float):
+def _compare(similarity: float, at_once: int = 1 << 16):
+    """Pairs within the radius of all buckets of a partition; those of small buckets are gathered so that the bit planes are full."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number: dict[int, int] = {}  # of a class in the store of the pairs gathered
+        store: list[tuple[int, bytes]] = []
+        left, right, load = [], [], 0
+
+        def flush() -> pd.DataFrame:
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)  # buckets share many pairs
+            n = np.array([x for x, _ in store], dtype=np.int64)
+            maps = np.frombuffer(b"".join(x for _, x in store), dtype=np.uint8).reshape(len(n), -1)
+            names = np.fromiter(number, dtype=np.int64, count=len(number))
+            ok = within(maps[pairs[0]], maps[pairs[1]], _radius(n[pairs[0]], n[pairs[1]], similarity))
+            x, y = names[pairs[0][ok]], names[pairs[1][ok]]
+            for z in (number, store, left, right):
+                z.clear()
+            return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
         for b in batches:
             for two, members in zip(b["two"], b["members"]):
-                c = np.array([m["class"] for m in members], dtype=np.int64)
-                n = np.array([m["n"] for m in members], dtype=np.int64)
-                maps = np.frombuffer(b"".join(m["map"] for m in members), dtype=np.uint8).reshape(len(c), -1)
-                side = np.array([m["side"] for m in members]) if two else None
-                for x, y in bucket_pairs(c, n, maps, side, similarity):
-                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                if len(members) > 64:
+                    c = np.array([m["class"] for m in members], dtype=np.int64)
+                    n = np.array([m["n"] for m in members], dtype=np.int64)
+                    maps = np.frombuffer(b"".join(m["map"] for m in members), dtype=np.uint8).reshape(len(c), -1)
+                    side = np.array([m["side"] for m in members]) if two else None
+                    for x, y in bucket_pairs(c, n, maps, side, similarity):
+                        yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                    continue
+                at = []
+                for m in members:
+                    k = number.setdefault(m["class"], len(number))
+                    if k == len(store):
+                        store.append((m["n"], m["map"]))
+                    at.append(k)
+                i, j = np.triu_indices(len(at), 1)
+                at = np.array(at)
+                x, y = at[i], at[j]
+                if two:
+                    side = np.array([m["side"] for m in members])
+                    keep = side[i] != side[j]
+                    x, y = x[keep], y[keep]
+                left.append(np.minimum(x, y))
+                right.append(np.maximum(x, y))
+                load += len(x)
+                if load >= at_once:
+                    yield flush()
+                    load = 0
+        if left:
+            yield flush()
 
     return run
 
