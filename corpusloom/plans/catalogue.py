@@ -1,7 +1,23 @@
-"""Queries of the core by name, and their SQL."""
+"""The queries of the engine by name, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from corpusloom.sources.tables import table
+
 FLAGSHIP = "hybrid_retrieve"
+
+
+def p6_found(spark, folder):
+    from corpusloom.operators.loglines import entries
+
+    return entries(table(spark, folder, "incidents")).drop("message")
+
+
+def p6_entries(spark, folder):
+    from corpusloom.operators.loglines import entries
+
+    return entries(table(spark, folder, "incidents"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_entries": p6_entries}
+SQL: dict[str, str] = {}

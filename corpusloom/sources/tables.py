@@ -64,3 +64,13 @@ def spread(df: DataFrame) -> DataFrame:
     """Splits a scan of fewer parts than there are cores, so that Python work uses them all; a larger scan stays where it is, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
+def newest(df: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """One row for each key, as ``latest``; but only keys with several rows bring their values to a shuffle.
+
+    Keys are counted by themselves; where few repeat, Spark broadcasts them and the other rows stay where the scan put them.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(key, order, *[v for v in values if v != order])
+    again = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return rows.join(again, key, "left_anti").select(key, *values).unionByName(latest(rows.join(again, key, "left_semi"), [key], order, values))
