@@ -87,6 +87,18 @@ def p9_report(spark, folder):
     return leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p10_found(spark, folder):
+    from corpusloom.llm.truncation import truncated
+
+    return truncated(table(spark, folder, "documents"))
+
+
+def p10_rates(spark, folder):
+    from corpusloom.llm.truncation import truncation_rates
+
+    return truncation_rates(table(spark, folder, "documents"))
+
+
 def _sql() -> dict[str, str]:
     from corpusloom.llm import leaks, split
 
