@@ -51,6 +51,19 @@ def p4_pieces(spark, folder):
     return all_pieces(table(spark, folder, "chunks"), table(spark, folder, "source_files"))
 
 
+def p5_found(spark, folder):
+    from corpusloom.llm.pii import personal_data
+
+    p = personal_data(table(spark, folder, "incidents"), table(spark, folder, "interactions"))
+    return p.select("tab", "row_id", "field_name", F.explode("kinds").alias("kind"))
+
+
+def p5_masked(spark, folder):
+    from corpusloom.llm.pii import personal_data
+
+    return personal_data(table(spark, folder, "incidents"), table(spark, folder, "interactions"), with_text=True).drop("kinds")
+
+
 def p7_found(spark, folder):
     from corpusloom.llm.alike import alike_pairs
 
