@@ -89,7 +89,7 @@ class Tagger:
             tags[t - 1] = np.take_along_axis(back[t], tags[t][:, None].astype(np.int64), axis=1)[:, 0]
         return tags
 
-    def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    def spans(self, texts: list[str], check: bool = True) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of each text, apart and in order. Every text is read whole, by windows that overlap."""
         at: list[tuple[int, int]] = []
         rows: list[np.ndarray] = []
@@ -119,7 +119,7 @@ class Tagger:
             if len(rows) >= 8 * AT_ONCE:
                 flush()
         flush()
-        return [reconciled(text, f) for text, f in zip(texts, found)]
+        return [reconciled(text, f, check) for text, f in zip(texts, found)]
 
 
 def runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -145,22 +145,29 @@ _NUMBER = re.compile(r"\d")
 
 
 def plausible(kind: str, value: str) -> bool:
-    """Whether a span can be what its tags say: an address has an at-sign in some spelling, a number digits, a name two words."""
+    """Whether a span can be what its tags say: an address has an at-sign in some spelling and a dot behind it, a number digits, a name two words."""
     digits = len(_NUMBER.findall(value))
     if kind == "email":
-        return bool(_AT.search(value)) and len(value) >= 6
+        m = _AT.search(value)
+        return bool(m) and m.start() > 0 and bool(re.search(r"\w\s*(?:\.|[\[({<]?\s*dot\s*[\])}>]?)\s*[A-Za-z]{2,}", value[m.end() :], re.I))
     if kind == "phone":
         return 7 <= digits <= 18
     if kind == "id_number":
-        return digits >= 5
+        return digits >= 5 and not re.match(r"\d{4}-\d\d?(?:-|$)", value)
     if kind == "street_address":
-        return digits >= 1 and sum(c.isalpha() for c in value) >= 4
+        return digits >= 1 and sum(c.isalpha() for c in value) >= 4 and not re.search(r"[_=:{}]", value)
     words = re.findall(r"[^\W\d_]+", value)
-    return digits == 0 and (len(words) >= 2 and max(map(len, words)) >= 3 or bool(_TITLE.match(value)))
+    if digits or re.search(r"[_=:/{}()\[\]@]|[a-z]{3}\.|\.[^\s]", value):
+        return False
+    return len(words) >= 2 and max(map(len, words)) >= 3 and not re.fullmatch(r"[a-z]+(?:-[a-z]+)+", value) or bool(_TITLE.match(value))
 
 
-def reconciled(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """Spans of all windows of a text made one: of those that meet and have one kind the union, of others the longer; blanks at the ends are left out, and what cannot be is dropped."""
+def reconciled(text: str, found: list[tuple[int, int, int]], check: bool = True) -> list[tuple[int, int, str]]:
+    """Spans of all windows of a text made one: of those that meet and have one kind the union, of others the longer.
+
+    A span that begins or ends inside a word takes the word; a number of which two characters or more were left out is
+    none. Blanks and quotes at the ends are left out. With ``check``, what cannot be is dropped.
+    """
     out: list[list[int]] = []
     for a, b, kind in sorted(found):
         if out and a < out[-1][1]:
@@ -171,12 +178,19 @@ def reconciled(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int,
                 out[-1] = [a, b, kind]
             continue
         out.append([a, b, kind])
-    clean = []
+    clean, last = [], 0
     for a, b, kind in out:
-        value = text[a:b]
-        a, b = a + len(value) - len(value.lstrip(" \t\r\n\"'<(=:")), b - (len(value) - len(value.rstrip(" \t\r\n\"'>,;:")))
-        if b > a and plausible(KINDS[kind], text[a:b]):
-            clean.append((a, b, KINDS[kind]))
+        x, y = a, b
+        if text[a:b].strip():
+            while x > last and text[x].isalnum() and (text[x - 1].isalnum() or kind in (1, 2) and text[x - 1] in "-." and x > 1 and text[x - 2].isalnum()):
+                x -= 1
+            while y < len(text) and text[y - 1].isalnum() and text[y].isalnum():
+                y += 1
+        value = text[x:y]
+        x, y = x + len(value) - len(value.lstrip(" \t\r\n\"'<=:")), y - (len(value) - len(value.rstrip(" \t\r\n\"'>,;:")))
+        if y > x and (not check or plausible(KINDS[kind], text[x:y]) and not (kind in (1, 2) and (a - x > 1 or y - b > 1))):
+            clean.append((x, y, KINDS[kind]))
+            last = y
     return clean
 
 
