@@ -141,6 +141,7 @@ def runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
 # ---- exact checks of a span ------------------------------------------------------------------------------------
 _AT = re.compile(r"@|＠|[\[({<]\s*at\s*[\])}>]|\s(?:at|AT|At)\s")
 _TITLE = re.compile(r"(?i)^(?:mr|mrs|ms|mx|miss|dr|prof|professor|sir|herr|frau|mme|mlle|señora?|sra?|don|doña)\.?\s+[^\W\d_]{2,}")
+_BEYOND = re.compile(r"\n|\b((?!(?:mrs|prof)\b)[^\W\d_]{3,})\.\s", re.I)
 _NUMBER = re.compile(r"\d")
 
 
@@ -157,7 +158,7 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "street_address":
         return digits >= 1 and sum(c.isalpha() for c in value) >= 4 and not re.search(r"[_=:{}]", value)
     words = re.findall(r"[^\W\d_]+", value)
-    if digits or re.search(r"[_=:/{}()\[\]@]|[a-z]{3}\.|\.[^\s]", value):
+    if digits or re.search(r"[_=:/{}()\[\]@]|\.[^\s]", value):
         return False
     return len(words) >= 2 and max(map(len, words)) >= 3 and not re.fullmatch(r"[a-z]+(?:-[a-z]+)+", value) or bool(_TITLE.match(value))
 
@@ -187,7 +188,10 @@ def reconciled(text: str, found: list[tuple[int, int, int]], check: bool = True)
             while y < len(text) and text[y - 1].isalnum() and text[y].isalnum():
                 y += 1
         value = text[x:y]
-        x, y = x + len(value) - len(value.lstrip(" \t\r\n\"'<=:")), y - (len(value) - len(value.rstrip(" \t\r\n\"'>,;:")))
+        if kind == 4 and (m := _BEYOND.search(value)):  # a name ends with its sentence or line
+            y = x + m.start() + len(m[1] or "")
+            value = text[x:y]
+        x, y = x + len(value) - len(value.lstrip(" \t\r\n\"'<=:")), y - (len(value) - len(value.rstrip(" \t\r\n\"'>,;:" + "." * (kind == 4))))
         if y > x and (not check or plausible(KINDS[kind], text[x:y]) and not (kind in (1, 2) and (a - x > 1 or y - b > 1))):
             clean.append((x, y, KINDS[kind]))
             last = y
