@@ -30,7 +30,7 @@ def features(events: DataFrame) -> DataFrame:
     s = events.select("rating", "implicit", "confidence", F.explode(F.array_distinct("chunk_ids")).alias("key")).where("key IS NOT NULL")
     pos = ((F.col("rating") >= 4) | (F.col("rating").isNull() & (F.coalesce("implicit", F.lit("")) == "positive"))).cast("long")
     neg = ((F.col("rating") <= 2) | (F.col("rating").isNull() & (F.coalesce("implicit", F.lit("")) == "negative"))).cast("long")
-    g = s.groupBy("key").agg(F.sum(F.coalesce(pos, F.lit(0))).alias("n_pos"), F.sum(F.coalesce(neg, F.lit(0))).alias("n_neg"), F.count("*").alias("n_events"), F.round(F.avg("confidence"), 6).alias("avg_conf"))
+    g = s.groupBy("key").agg(F.sum(F.coalesce(pos, F.lit(0))).alias("n_pos"), F.sum(F.coalesce(neg, F.lit(0))).alias("n_neg"), F.count("*").alias("n_events"), F.round(F.avg("confidence") + 1e-9, 6).alias("avg_conf"))
     return g.withColumn("label", (F.col("n_pos") > F.col("n_neg")).cast("int"))
 
 

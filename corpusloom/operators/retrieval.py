@@ -20,6 +20,10 @@ def _query_terms(query: str) -> list[str]:
     return sorted({t for t in re.findall(T.TERM, query.lower())})
 
 
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
 def lexical_rank(chunks: DataFrame, query: str, k: int) -> DataFrame:
     """(id, score) of the k best by coverage of the query's terms plus a tenth of their density; ties fall to the smaller id.
 
@@ -40,7 +44,7 @@ def bm25_topk(chunks: DataFrame, query: str, k: int) -> DataFrame:
     """
     q = _query_terms(query)
     d = chunks.select("id", T.terms(F.col("text")).alias("t"))
-    d = d.select("id", F.size("t").alias("n"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"f{j}") for j, w in enumerate(q)])
+    d = d.select("id", F.size("t").alias("n"), *[F.size(F.filter("t", _equals(w))).alias(f"f{j}") for j, w in enumerate(q)])
     s = d.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(f"f{j}") > 0).cast("long")).alias(f"d{j}") for j in range(len(q))]).first()
     if not q or not s["docs"] or not s["mean"]:
         return d.select("id", F.lit(0.0).alias("score")).where("false")
