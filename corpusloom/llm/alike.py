@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from corpusloom.sources.tables import cut
 WORDS, SHINGLE, SIMILARITY = 20, 3, 0.7
 #: bits of a text's parity map; distances are compared on it before the sets are
 BITS = 512
-#: cells of the table of shingle frequencies; its size is fixed whatever the corpus holds, one byte a cell when broadcast
-CELLS, PAGE = 1 << 22, 1 << 14
+#: cells of the table of shingle frequencies, and of the one that tells which shingles of prefixes may be shared; their sizes
+#: are fixed whatever the corpus holds: when broadcast a byte and a bit a cell (2 MB each). A page of cells is a row of the sum
+CELLS, SHARED_CELLS, PAGES = 1 << 21, 1 << 24, 128
 #: shingles that may be broadcast, 8 bytes each; more are joined by a shuffle
 BROADCAST_ROWS = 400_000
 #: members of a bucket that are compared in one task; a larger bucket is split into pairs of tiles
@@ -133,16 +135,60 @@ def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, maps: np.ndarray, side:
 
 
 # ---- plan -----------------------------------------------------------------------------------------------------
-def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pages: dict[int, np.ndarray] = {}
-    for b in batches:
-        for page, g in b.groupby("page"):
-            pages.setdefault(int(page), np.zeros(PAGE, dtype=np.uint8))[g["i"].to_numpy()] = g["v"].to_numpy()
-    yield pd.DataFrame({"page": list(pages), "cells": [x.tobytes() for x in pages.values()]})
+def _cell(h: np.ndarray, cells: int) -> np.ndarray:
+    u = h.view(np.uint64)
+    if cells != CELLS:  # another hash than that of the frequencies
+        u = (u ^ (u >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (u >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+
+
+def _count(column: str, cells: int, most: int | None):
+    """Counts of a partition's hashes by cell, as compressed pages; with ``most`` they stop there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = np.uint8 if most else np.uint32
+        have = np.zeros(cells, dtype=kind)
+        for b in batches:
+            if len(b):
+                at, n = np.unique(_cell(np.concatenate([np.asarray(x, dtype=np.int64) for x in b[column]]), cells), return_counts=True)
+                have[at] = np.minimum(have[at] + n, most) if most else have[at] + n
+        pages = have.reshape(PAGES, -1)
+        used = np.nonzero(pages.any(axis=1))[0]
+        yield pd.DataFrame({"page": used.astype(np.int32), "cells": [zlib.compress(pages[k].tobytes(), 1) for k in used]})
+
+    return run
+
+
+def _table(df: DataFrame, column: str, cells: int, most: int | None, finish) -> bytes:
+    """One table of all partitions' counts: pages are summed where they meet, ``finish`` makes a page's bytes, and their fixed number comes to the driver."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = np.uint8 if most else np.uint32
+        pages: dict[int, np.ndarray] = {}
+        for b in batches:
+            for page, raw in zip(b["page"], b["cells"]):
+                x = np.frombuffer(zlib.decompress(raw), dtype=kind)
+                have = pages.get(page)
+                pages[page] = x if have is None else np.minimum(have + x, most).astype(kind) if most else have + x
+        yield pd.DataFrame({"page": list(pages), "cells": [finish(x).tobytes() for x in pages.values()]})
+
+    size = len(finish(np.zeros(cells // PAGES, dtype=np.uint8 if most else np.uint32)).tobytes())
+    out = bytearray(size * PAGES)
+    for r in df.select(column).mapInPandas(_count(column, cells, most), "page int, cells binary").repartition("page").mapInPandas(add, "page int, cells binary").collect():
+        out[r["page"] * size : (r["page"] + 1) * size] = r["cells"]
+    return bytes(out)
+
+
+def _log(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.ceil(np.log2(np.maximum(counts, 1)) * 8)).astype(np.uint8)
+
+
+def _twice(counts: np.ndarray) -> np.ndarray:
+    return np.packbits(counts >= 2)
 
 
 def _prefixes(table, similarity: float, tile: int):
-    """For each set its parity map and the shingles of its prefix, rarest first by the broadcast table; and a bound of how many sets have each."""
+    """For each set its parity map and the shingles of its prefix, rarest first by the broadcast table; and whether a shingle may fill more than a tile."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log = np.frombuffer(table.value, dtype=np.uint8)
@@ -150,10 +196,28 @@ def _prefixes(table, similarity: float, tile: int):
             rows = []
             for c, sh in zip(b["class"], b["sh"]):
                 sh = np.asarray(sh, dtype=np.int64)
-                est = log[(sh.view(np.uint64) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)]
+                est = log[_cell(sh, CELLS)]
                 order = np.lexsort((sh, est))[: len(sh) - int(np.ceil(similarity * len(sh) - 1e-9)) + 1]
-                rows.append((c, len(sh), parity_map(sh).tobytes(), sh[order], est[order] >= np.log2(tile) * 8))
-            yield pd.DataFrame(rows, columns=["class", "n", "map", "prefix", "hot"])
+                rows.append((c, len(sh), parity_map(sh).tobytes(), sh[order], int((est[order] >= np.log2(tile) * 8).sum())))
+            yield pd.DataFrame(rows, columns=["class", "n", "map", "prefix", "n_hot"])
+
+    return run
+
+
+def _spots(table):
+    """(class, h, hot) of the shingles of prefixes that another prefix may have: those alone in their cell end here. The last ``n_hot`` of a prefix are hot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(table.value, dtype=np.uint8)
+        for b in batches:
+            if not len(b):
+                continue
+            n = np.array([len(x) for x in b["prefix"]])
+            h = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["prefix"]])
+            hot = np.concatenate([np.arange(k) >= k - m for k, m in zip(n, b["n_hot"])])
+            cell = _cell(h, SHARED_CELLS)
+            keep = (bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+            yield pd.DataFrame({"class": np.repeat(b["class"].to_numpy(), n)[keep], "h": h[keep], "hot": hot[keep]})
 
     return run
 
@@ -232,17 +296,11 @@ def alike(chunks: DataFrame, similarity: float = SIMILARITY, least: int = WORDS,
     rows = cut(rows)
     members = rows.groupBy("id").agg(F.max(F.struct("at", "class")).alias("r")).select("id", F.col("r.class").alias("class")).where("class IS NOT NULL")
     sets = rows.where("class IS NOT NULL").select("class", "sh")
-    # frequencies of all shingles in a table of fixed size: cells are counted map-side, and their logarithms fit a byte each
-    cell = F.shiftrightunsigned("h", 64 - CELLS.bit_length() + 1)
-    counts = sets.select(F.explode("sh").alias("h")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    per = counts.select((F.col("cell") / PAGE).cast("int").alias("page"), (F.col("cell") % PAGE).cast("int").alias("i"), F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("int").alias("v"))
-    log = bytearray(CELLS)
-    for r in per.repartition("page").mapInPandas(_pages, "page int, cells binary").collect():  # CELLS bytes, whatever the corpus holds
-        log[r["page"] * PAGE : (r["page"] + 1) * PAGE] = r["cells"]
-    table = spark.sparkContext.broadcast(bytes(log))
-    one = sets.mapInPandas(_prefixes(table, similarity, tile), "class long, n int, map binary, prefix array<long>, hot array<boolean>")
+    table = spark.sparkContext.broadcast(_table(sets, "sh", CELLS, None, _log))
+    one = sets.mapInPandas(_prefixes(table, similarity, tile), "class long, n int, map binary, prefix array<long>, n_hot int")
     one = cut(one)
-    spots = one.select("class", F.explode(F.arrays_zip("prefix", "hot")).alias("p")).select("class", F.col("p.prefix").alias("h"), F.col("p.hot").alias("hot"))
+    shared_cells = spark.sparkContext.broadcast(_table(one, "prefix", SHARED_CELLS, 2, _twice))
+    spots = one.select("class", "prefix", "n_hot").mapInPandas(_spots(shared_cells), "class long, h long, hot boolean")
     # exact counts only of the shingles that may fill more than a tile
     hot = spots.where("hot").groupBy("h", "class").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("x").alias("m")).where(F.col("m") > tile).select("h", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
     hot = cut(hot)
