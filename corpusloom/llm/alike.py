@@ -309,18 +309,20 @@ def alike(chunks: DataFrame, similarity: float = SIMILARITY, least: int = WORDS,
     shared = cut(shared if hot.isEmpty() else shared.join(hot.select("h"), "h", "left_anti"))
     few = shared.count() <= BROADCAST_ROWS
     cool = spots.join(F.broadcast(shared) if few else shared, "h")
-    groups = cool.select(F.xxhash64("h").alias("g"), F.lit(False).alias("two"), "class", F.lit(0).alias("side")).distinct()
+    groups = cool.select(F.xxhash64("h").alias("g"), F.lit(False).alias("two"), "class", F.lit(0).alias("side"))
     if not hot.isEmpty():
         tiled = spots.where("hot").join(hot, "h").select("h", "tiles", "class", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("t")).distinct()
         tiled = tiled.select("h", "class", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
         tiled = tiled.select(F.xxhash64("h", F.least("t", "u"), F.greatest("t", "u")).alias("g"), (F.col("t") != F.col("u")).alias("two"), "class", F.when(F.col("t") < F.col("u"), 0).otherwise(1).alias("side"))
         groups = groups.unionByName(tiled)
     maps = one.select("class", "n", "map").dropDuplicates(["class"])
-    full = groups.join(maps, "class").groupBy("g", "two").agg(F.collect_list(F.struct("class", "n", "map", "side")).alias("members")).where("size(members) > 1")
+    # texts that are alike share many shingles, so most buckets have the members of another; a bucket has two tiles at most
+    same = groups.groupBy("g", "two").agg(F.sort_array(F.collect_set(F.struct("class", "side"))).alias("m")).where("size(m) > 1").groupBy("two", "m").agg(F.min("g").alias("g"))
+    once = same.select("g", "two", F.explode("m").alias("x")).select("g", "two", "x.class", "x.side")
+    full = once.join(maps, "class").groupBy("g", "two").agg(F.collect_list(F.struct("class", "n", "map", "side")).alias("members"))
     pairs = cut(full.mapInPandas(_compare(similarity), "a long, b long").distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    few = sets.join(needed, "class", "left_semi").dropDuplicates(["class"])
-    few = cut(few)
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    few = cut(sets.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "class", "left_semi").dropDuplicates(["class"]))
     x, y = few.select(F.col("class").alias("a"), F.col("sh").alias("sa")), few.select(F.col("class").alias("b"), F.col("sh").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
