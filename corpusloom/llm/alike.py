@@ -20,6 +20,8 @@ BITS = 512
 CELLS, SHARED_CELLS, PAGES = 1 << 21, 1 << 24, 128
 #: shingles that may be broadcast, 8 bytes each; more are joined by a shuffle
 BROADCAST_ROWS = 400_000
+#: bytes of the candidates' sets up to which they are broadcast to be verified
+BROADCAST_BYTES = 16 << 20
 #: members of a bucket that are compared in one task; a larger bucket is split into pairs of tiles
 TILE = 2048
 
@@ -298,7 +300,7 @@ def alike(chunks: DataFrame, similarity: float = SIMILARITY, least: int = WORDS,
     sets = rows.where("class IS NOT NULL").select("class", "sh")
     table = spark.sparkContext.broadcast(_table(sets, "sh", CELLS, None, _log))
     one = sets.mapInPandas(_prefixes(table, similarity, tile), "class long, n int, map binary, prefix array<long>, n_hot int")
-    one = cut(one)
+    # prefixes are cheaper to compute again from the sets than to write
     shared_cells = spark.sparkContext.broadcast(_table(one, "prefix", SHARED_CELLS, 2, _twice))
     spots = one.select("class", "prefix", "n_hot").mapInPandas(_spots(shared_cells), "class long, h long, hot boolean")
     # exact counts only of the shingles that may fill more than a tile
@@ -326,6 +328,9 @@ def alike(chunks: DataFrame, similarity: float = SIMILARITY, least: int = WORDS,
     x, y = few.select(F.col("class").alias("a"), F.col("sh").alias("sa")), few.select(F.col("class").alias("b"), F.col("sh").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
+    held = few.agg(F.sum(F.size("sh"))).first()[0] or 0  # sets of the candidates only; in a broadcast if they are small
+    if held * 8 <= BROADCAST_BYTES:
+        x, y = F.broadcast(x), F.broadcast(y)
     links = pairs.join(x, "a").join(y, "b").where(inter * 1000 >= union * int(round(similarity * 1000))).select("a", "b")
     return members, links
 

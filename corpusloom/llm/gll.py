@@ -44,7 +44,7 @@ class Grammar:
         self._aux = 0
         self._read(text)
         literals = sorted({s[1:-1] for alts in self.rules.values() for a in alts for s in a if s[0] == "'"})
-        self.char = {t: chr(0x100 + k) for k, t in enumerate([*literals, *classes])}
+        self.char = {t: chr(0x100 + k) for k, t in enumerate(dict.fromkeys([*literals, *classes]))}
         self.brackets = {b: self.char.setdefault(b, chr(0x100 + len(self.char))) for b in "()[]{}"}
         self.split = None
         if split:  # <x> in the pattern stands for the character of token x, @ for those of reduced {} groups
@@ -269,7 +269,7 @@ class Grammar:
         """The symbols of which the piece can be the beginning; what can't begin so need not be tried on the whole."""
         if not symbols:
             return symbols
-        key = (symbols[0], len(symbols), piece)
+        key = (tuple(symbols), piece)
         got = self._begins.get(key)
         if got is None:
             if len(self._begins) > self.MEMO_LIMIT:
