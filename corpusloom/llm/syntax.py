@@ -206,6 +206,9 @@ def _hole_end(t: str, j: int) -> int:
 class Ecma(Lexer):
     _OPS = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
 
+    #: behind these a slash begins a regular expression
+    _BEFORE = r"=>|&&|\|\||\?\?|===?|!==?|[(,=:\[!&|?{};+\-*%~^]|\b(?:return|typeof|case|void|delete|throw|else|do|yield|await)\b"
+
     def __init__(self, typed: bool):
         self.typed = typed
         text = G.ecma(typed) + "\n_Stmts = Stmt* ; _Members = Member* ; _Items = Item* ;"
@@ -216,13 +219,14 @@ class Ecma(Lexer):
         ops = self._OPS if not typed else self._OPS.replace(r">>>=|", "").replace(r">>=|>>>|", "").replace(r"<=|>=", "<=|>=").replace(r"<<|>>|", "<<|")
         rx = (
             r"//[^\n]*|/\*.*?\*/|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`|" + r'"(?:[^"\\\n]|\\.)*"|' + r"'(?:[^'\\\n]|\\.)*'|"
-            + r"(?:[(,=:\[!&|?{};+]|\breturn\b)[ \t]*" + regex + r"|\n\s*" + regex + r"|\n|" + _NUM + r"n?\w*|[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*|" + ops + r"|[^\s]"
+            + "(?:" + self._BEFORE + r")[ \t]*" + regex + r"|\n\s*" + regex + r"|\n|" + _NUM + r"n?\w*|[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*|" + ops + r"|[^\s]"
         )
         super().__init__(g, rx, set())
         ch = g.char
         first = [ch[x] for x in ("ID", "NUM", "STR", "TPL", "REGEX", "PRIV", "KW", ")", "]", "}", "++", "--", "this", "super", "null", "true", "false", "return", "break", "continue", "debugger", "async", "of", "get", "set", "from", "as", "type", "declare", "abstract", "readonly", "namespace", "interface", "is") if x in ch]
         stop = [ch[x] for x in (".", "?.", "(", "[", "+", "-", "*", "/", "%", ",", ";", "?", ":", "=", "=>", "==", "===", "!=", "!==", "<", ">", "<=", ">=", "&&", "||", "??", "&", "|", "^", "+=", "-=", "in", "instanceof", "else", "catch", "finally", "while", "}", ")", "]", "TPL", "{", "as", "satisfies") if x in ch]
-        self.nl = re.compile("(?<=[" + re.escape("".join(first)) + "])\n+(?![" + re.escape("".join(stop)) + "])")
+        # a line end before else or while ends the statement there, unless a block has just ended
+        self.nl = re.compile("(?<=[" + re.escape("".join(first)) + "])\n+(?![" + re.escape("".join(stop)) + "])|(?<=[" + re.escape("".join(x for x in first if x != ch["}"])) + "])\n+(?=[" + re.escape(ch["else"] + ch["while"]) + "])")
         self.words = {"KW": set()}
 
     def kind(self, t: str) -> str:
@@ -241,10 +245,8 @@ class Ecma(Lexer):
             return char["NUM"] if re.fullmatch(_NUM + "n?", t) else "\x01"
         if t in char and t not in ("ID", "NUM", "STR", "TPL", "REGEX", "PRIV", "KW"):
             return char[t]
-        if t.startswith("return") and "/" in t:
-            return char["return"] + char["REGEX"]
-        if c in "(,=:[!&|?{};+" and "/" in t:
-            return char[c] + char["REGEX"]
+        if "/" in t and (m := re.match(self._BEFORE, t)) and m.group() in char:
+            return char[m.group()] + char["REGEX"]
         if c.isalpha() or c in "_$":
             return char["ID"]
         if c == "#" and len(t) > 1:
