@@ -316,13 +316,13 @@ def credentials(chunks: DataFrame, files: DataFrame, with_text: bool = False) ->
     scanned where they lie; only ids, line numbers and (``with_text``) redacted texts are shuffled. Numbers of lines
     count in the text split at line feeds.
     """
-    old = F.lit("0001-01-01").cast("timestamp")
-    t = chunks.where("id IS NOT NULL").select(F.col("id"), F.coalesce("ingested_at", old).alias("at"), "content_type", "text")
-    t = t.mapInPandas(lambda it: _scan(it, with_text), "id string, at timestamp, lines array<long>, redacted string")
+    old = F.lit(-(1 << 62)).cast("long")  # times go to Python as numbers, as a null time has no place among its dates
+    t = chunks.where("id IS NOT NULL").select(F.col("id"), F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), old).alias("at"), "content_type", "text")
+    t = t.mapInPandas(lambda it: _scan(it, with_text), "id string, at long, lines array<long>, redacted string")
     t = t.groupBy("id").agg(F.max(F.struct("at", "lines", "redacted")).alias("r")).where("size(r.lines) > 0")
-    p = files.where("file_id IS NOT NULL").select(F.col("file_id").cast("string").alias("id"), F.coalesce("scanned_at", old).alias("at"), F.col("rel_path").alias("text"))
+    p = files.where("file_id IS NOT NULL").select(F.col("file_id").cast("string").alias("id"), F.coalesce(F.unix_micros(F.col("scanned_at").cast("timestamp")), old).alias("at"), F.col("rel_path").alias("text"))
     # most paths have no character run that could be a credential; the rest go to Python
-    p = p.mapInPandas(_scan_paths, "id string, at timestamp, hit boolean, redacted string")
+    p = p.mapInPandas(_scan_paths, "id string, at long, hit boolean, redacted string")
     p = p.groupBy("id").agg(F.max(F.struct("at", "hit", "redacted")).alias("r")).where("r.hit")
     return t.select(F.lit("text").alias("field_name"), F.col("id").alias("item_id"), F.col("r.lines").alias("lines"), F.col("r.redacted").alias("redacted")).unionByName(
         p.select(F.lit("rel_path").alias("field_name"), F.col("id").alias("item_id"), F.array(F.lit(0).cast("long")).alias("lines"), F.col("r.redacted").alias("redacted"))

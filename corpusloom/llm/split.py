@@ -117,7 +117,7 @@ def pieces(text: str, limit: int, overlap: int = OVERLAP, first_line: int = 1) -
     return out
 
 
-_COLUMNS = "item_kind string, item_id string, at timestamp, piece_no int, start_line long, end_line long, n_bytes long, overlap long, piece string"
+_COLUMNS = "item_kind string, item_id string, at long, piece_no int, start_line long, end_line long, n_bytes long, overlap long, piece string"
 
 
 def _cut(limit: int, overlap: int):
@@ -142,7 +142,7 @@ def oversized(items: DataFrame, kind: str, key: str, order: str, text: str, line
     null or empty texts give none; a null first line counts as 1; empty tables give no rows; extra columns are ignored.
     Only oversized texts leave the JVM, and only they are read as a whole; all other rows bring an id, a time and a size.
     """
-    at = F.coalesce(F.col(order).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+    at = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(1 << 62)).cast("long"))
     first = F.coalesce(F.col(line), F.lit(1)) if line else F.lit(1)
     rows = items.where(F.col(key).isNotNull()).select(F.lit(kind).alias("item_kind"), F.col(key).cast("string").alias("item_id"), at.alias("at"), first.cast("long").alias("first_line"), F.col(text).alias("text"))
     last = _latest(rows.select("item_id", "at", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))).where(F.col("n") > limit)

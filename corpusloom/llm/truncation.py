@@ -130,7 +130,7 @@ def judged(documents: DataFrame) -> DataFrame:
 
     Cut is a text with a mark of a cut; a text at a significant length of its source whose ending is not closed (a byte limit
     also takes texts that end up to 3 bytes before it, where a character did not fit); a text with an open ending, or
-    whose last word no other place of the corpus has (it was cut inside); and where such signs are a quarter of a source's
+    whose last word stands nowhere else in the corpus but begins a longer word there (it was cut inside); and where such signs are a quarter of a source's
     unterminated endings, all its bare endings. In other sources (informal ones) bare endings are complete.
     Null and empty texts are no cases; a null source is a source of its own. Repeated doc_ids count once, as cut if one
     row is. Empty tables give no rows; extra columns are ignored.
@@ -148,9 +148,12 @@ def judged(documents: DataFrame) -> DataFrame:
     # words of the whole corpus that stand before something else; only those that end a doubtful text matter
     ends = e.where("kind IN ('bare', 'listed') AND word <> ''").select("word").distinct()
     inner = rows.select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[\p{L}]+\s*$", "")), r"[^\p{L}]+")).alias("word")).groupBy("word").agg(F.lit(True).alias("known"))
+    inner = cut(inner.where("word <> ''"))
     known = ends.join(inner, "word")
-    j = e.join(hit, "doc_id", "left").join(known, "word", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    partial = (F.col("word") != "") & F.col("known").isNull() & F.col("kind").isin("bare", "listed")
+    # and those that begin a longer word
+    begins = ends.join(inner.where("length(word) > 1").select(F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substring(word, 1, k))")).alias("word")), "word", "left_semi").select("word", F.lit(True).alias("begins"))
+    j = e.join(hit, "doc_id", "left").join(known, "word", "left").join(begins, "word", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    partial = (F.col("word") != "") & F.col("known").isNull() & F.col("begins").isNotNull() & F.col("kind").isin("bare", "listed")
     j = j.withColumn("sign", (F.col("kind") == "open") | partial)
     j = cut(j.select("doc_id", "source", "kind", "at_limit", "sign"))
     per = j.where("NOT at_limit AND kind IN ('bare', 'open')").groupBy("source").agg((F.sum(F.col("sign").cast("long")) >= SIGNS * (F.count("*") + 1)).alias("cuts"))
