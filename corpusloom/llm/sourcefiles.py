@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.alike import CELLS, _cell, _log, _table, parity_map
 from corpusloom.sources.tables import cut
 
 # ---- fixed values: notices by which tools and outside projects mark their files -----------------------------
@@ -41,13 +42,10 @@ _KEYWORDS = (
 _TOKEN = re.compile(
     r"//[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\#[^\n]*|\b\d[\w.]*|[^\W\d][\w$]*|[^\s\w]", re.S
 )
-SHINGLE, BANDS, ROWS = 5, 12, 5
-#: noticed shapes of a bucket with which its other members are compared
-LANES = 8
-_PERMS = BANDS * ROWS
-_rng = np.random.RandomState(7)
-_A = _rng.randint(1, 2**62, _PERMS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.randint(0, 2**62, _PERMS).astype(np.uint64)
+SHINGLE = 5
+#: bits of a shape's parity map, by which pairs are left before their sets are compared; whole words of 64
+BITS = 256
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _POLY = np.array([1000003**k % (1 << 63) for k in range(SHINGLE)], dtype=np.uint64)
 _ID, _NUM, _STR = 1, 2, 3
 _CODE = {w: k + 64 for k, w in enumerate(_KEYWORDS)} | dict.fromkeys(("int", "long", "char", "boolean", "double", "float", "string", "number"), _ID)
@@ -90,10 +88,6 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     return np.unique((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
-def minhash(sh: np.ndarray) -> np.ndarray:
-    return ((sh.astype(np.uint64)[:, None] * _A[None, :] + _B[None, :]) >> np.uint64(32)).min(axis=0)
-
-
 _BLANK = re.compile(r"[\s\ufeff]+")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|(?://|\#|--(?!-))[^\n]*", re.S)
 #: what may stand before or between the comments at the top: declarations of package and imports, marks of a document, shell options
@@ -187,7 +181,7 @@ def marks(rel_path: str | None, text: str, codes: np.ndarray) -> tuple[bool, str
     return gen, outside, mini, blob, own
 
 
-_FEATURES = "file_id long, scanned_at timestamp, repo string, path string, gen boolean, outside string, mini boolean, blob boolean, projects array<string>, sure array<string>, own boolean, dirs array<string>, shape long, bands array<long>, shingles array<int>"
+_FEATURES = "file_id long, scanned_at timestamp, repo string, path string, gen boolean, outside string, mini boolean, blob boolean, projects array<string>, sure array<string>, own boolean, dirs array<string>, shape long, shingles array<int>"
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,18 +193,55 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sh = shingles(codes)
             gen, outside, mini, blob, own = marks(path, text, codes)
             projects, sure = projects_of(path, text)
-            if len(sh):
-                sig = minhash(sh)
-                lanes = sig.reshape(BANDS, ROWS) * _POLY[None, :ROWS] + np.arange(BANDS, dtype=np.uint64)[:, None]
-                bands = lanes.sum(axis=1).astype(np.int64).tolist()
-                shape = int(np.bitwise_xor.reduce(sh.astype(np.uint64) * _A[0]).astype(np.int64))
-            else:
-                bands, shape = [], 0
+            shape = int(np.bitwise_xor.reduce(sh.astype(np.uint64) * _ODD).astype(np.int64)) if len(sh) else 0
             parts = (path or "").replace("\\", "/").lower().split("/")[:-1]
-            rows.append((file_id, at, repo, path, gen, outside, mini, blob, projects, sure, own, parts, shape, bands, sh.astype(np.int32).tolist()))
+            rows.append((file_id, at, repo, path, gen, outside, mini, blob, projects, sure, own, parts, shape, sh.astype(np.int32).tolist()))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FEATURES.split(", ")])
 
 
+def _prefixes(table, similarity: float):
+    """(shape, n, map, prefix) of each set of shingles: its size, the words of its parity map and its prefix, rarest first by the broadcast table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log = np.frombuffer(table.value, dtype=np.uint8)
+        for b in batches:
+            rows = []
+            for shape, sh in zip(b["shape"], b["sh"]):
+                sh = np.asarray(sh, dtype=np.int64)
+                order = np.lexsort((sh, log[_cell(sh, CELLS)]))[: len(sh) - int(np.ceil(similarity * len(sh) - 1e-9)) + 1]
+                rows.append((shape, len(sh), parity_map(sh, BITS).view(np.int64), sh[order]))
+            yield pd.DataFrame(rows, columns=["shape", "n", "map", "prefix"])
+
+    return run
+
+
+def alike_shapes(feats: DataFrame, noticed: DataFrame, similarity: float) -> DataFrame:
+    """(shape, rep): every pair of a shape and a noticed shape that may be alike, each noticed shape with itself too.
+
+    Sets of Jaccard similarity ``similarity`` or more share a shingle of their prefixes, taken in one order for all. Pairs
+    are left by their sizes, by what can follow the first shingle they share, and by the distance of their parity maps,
+    none of which rules out a pair that is alike; so no pair is lost, however many noticed shapes share a shingle.
+    """
+    spark = feats.sparkSession
+    rows = feats.where("NOT blob AND NOT mini AND size(shingles) > 0").select("shape", "gen", F.transform("shingles", lambda x: F.shiftleft(x.cast("long"), 32)).alias("sh"))
+    table = spark.sparkContext.broadcast(_table(rows, "sh", CELLS, None, _log))
+
+    def spots(sets: DataFrame) -> DataFrame:
+        return sets.select("shape", "sh").mapInPandas(_prefixes(table, similarity), "shape long, n int, map array<long>, prefix array<long>")
+
+    # a noticed shape has a row with a notice, so few rows are read for these
+    reps = spots(rows.where("gen")).join(noticed, "shape", "left_semi").dropDuplicates(["shape"])
+    reps = cut(reps.select(F.col("shape").alias("rep"), F.col("n").alias("rn"), F.col("map").alias("rmap"), F.posexplode("prefix").alias("rpos", "h")))
+    apart = sum((F.bit_count(F.col("map")[k].bitwiseXOR(F.col("rmap")[k])) for k in range(BITS // 64)), F.lit(0))
+    able = (
+        (F.least("n", "rn") >= similarity * F.greatest("n", "rn") - 1e-9)
+        & (F.least(F.col("n") - F.col("pos"), F.col("rn") - F.col("rpos")) * (1 + similarity) >= similarity * (F.col("n") + F.col("rn")) - 1e-9)
+        & (apart * (1 + similarity) <= (F.col("n") + F.col("rn")) * (1 - similarity) + 1e-9)
+    )
+    near = spots(rows).select("shape", "n", "map", F.posexplode("prefix").alias("pos", "h"))
+    return near.join(reps, "h").where(able).select("shape", "rep").distinct()
+
+
 def clean_path(c):
     """A path as it is written in source_files: forward slashes, no leading ./ or /, no doubled slash."""
     c = F.regexp_replace(F.trim(c), r"\\", "/")
@@ -220,11 +251,10 @@ def clean_path(c):
 def not_hand_written(files: DataFrame, ingested: DataFrame, repositories: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(tab, row_id) of the files that are generated, minified, third-party or data, and of their ingested_files rows.
 
-    Identifier-masked token shingles are banded by MinHash. Each bucket offers up to ``LANES`` different noticed
-    shapes, found with map-side combination; each other shape of the bucket is compared with these (Jaccard of the
-    shingle sets >= ``similarity``, exact), so a bucket that holds a third of all files lists no pairs within it and
-    equal files count as one shape. Where a fifth of the files that agree with a noticed shape carry notices of a
-    tool, those without are cases too.
+    Files of one set of identifier-masked token shingles are one shape. Every noticed shape is compared with every shape
+    alike to it (Jaccard of the shingle sets >= ``similarity``, exact); pairs of two shapes without notice are never
+    listed, so neither is a hot family's inner square. Where a fifth of the files that agree with a noticed shape carry
+    notices of a tool, those without are cases too.
     Outside projects are named by all headers of the table, by folders that only tools fill and by the package roots of
     files in other folders for outside code; the paths are read with those names.
     Clusters spread notices of tools only; all else is decided per file (see README for what that leaves out).
@@ -235,13 +265,11 @@ def not_hand_written(files: DataFrame, ingested: DataFrame, repositories: DataFr
     feats = base.mapInPandas(_features, _FEATURES)
     feats = cut(feats)
     # the rows of one file: all but a few keys have one, so only keys with more go through the choice of the latest
-    last = feats.groupBy("file_id").agg(F.max(F.struct(F.coalesce("scanned_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "shape", "path", "gen", "outside", "mini", "blob", "projects", "sure", "own", "repo", "dirs")).alias("r"), F.max_by("bands", F.coalesce("scanned_at", F.lit("0001-01-01").cast("timestamp"))).alias("bands"))
-    one = cut(last.select("file_id", "r.shape", "r.path", "r.gen", "r.outside", "r.mini", "r.blob", "r.projects", "r.sure", "r.own", "r.repo", "r.dirs", "bands"))
-    # 1. families: every shape is compared with up to LANES noticed shapes of each of its buckets, and the notices are counted after that
-    spots = one.where("NOT blob AND NOT mini AND size(bands) > 0").select("file_id", "shape", "gen", F.explode("bands").alias("band"))
-    lanes = spots.where("gen").groupBy("band", F.pmod("shape", F.lit(LANES)).alias("lane")).agg(F.min("shape").alias("rep"))
-    pairs = spots.join(lanes.select("band", "rep"), "band").select("shape", "rep").distinct()
-    shapes = one.where("NOT blob AND NOT mini AND size(bands) > 0").groupBy("shape").agg(F.min("file_id").alias("file_id"), F.count("*").alias("n"), F.sum(F.col("gen").cast("long")).alias("n_gen"))
+    last = feats.groupBy("file_id").agg(F.max(F.struct(F.coalesce("scanned_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "shape", "path", "gen", "outside", "mini", "blob", "projects", "sure", "own", "repo", "dirs")).alias("r"))
+    one = cut(last.select("file_id", "r.shape", "r.path", "r.gen", "r.outside", "r.mini", "r.blob", "r.projects", "r.sure", "r.own", "r.repo", "r.dirs"))
+    # 1. families: every noticed shape is compared with all shapes that may be alike to it, and the notices are counted after that
+    shapes = one.where("NOT blob AND NOT mini").groupBy("shape").agg(F.min("file_id").alias("file_id"), F.count("*").alias("n"), F.sum(F.col("gen").cast("long")).alias("n_gen"))
+    pairs = cut(alike_shapes(feats, shapes.where("n_gen > 0").select("shape"), similarity))
     # the content of one file stands for each shape; only shapes that some pair needs bring their shingles
     needed = cut(shapes.join(pairs.select("shape").distinct(), "shape", "left_semi"))
     sets = feats.select("file_id", "shape", "shingles").join(needed, ["file_id", "shape"]).dropDuplicates(["shape"])

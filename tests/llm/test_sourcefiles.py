@@ -1,8 +1,9 @@
 """Problem 1: files that are not hand-written."""
 
 import datetime as dt
+import random
 
-from corpusloom.llm.sourcefiles import not_hand_written
+from corpusloom.llm.sourcefiles import masked_tokens, not_hand_written, shingles
 
 AT = dt.datetime(2024, 1, 1)
 FILES = "file_id long, repo string, rel_path string, content_type string, content string, scanned_at timestamp"
@@ -58,3 +59,22 @@ def test_minified_of_any_length_and_wrapping(spark):
     plain = "export function keep(a, b) {\n  const found = a.filter((x) => x.id === b.id);\n  return found.length ? found[0] : null;\n}\n"
     rows = [(1, "a/one.js", "javascript", one), (2, "a/two.js", "javascript", wrapped), (3, "a/plain.js", "javascript", plain), (4, "a/t.js", "javascript", "export const A = 1;\n")]
     assert found(spark, rows) == {1, 2}
+
+
+def test_many_noticed_shapes_of_one_family(spark):
+    r = random.Random(8)
+    words = "if else for while return switch case break continue throw try catch finally do new null this true false super".split()
+    line = lambda: " ".join(r.choice(words) + r.choice("+-*<>=&|") for _ in range(6)) + ";\n"
+    shared = "".join(line() for _ in range(30))
+    rows, at = [], 1
+    for _ in range(150):  # variants are alike to the file beside them, to other variants mostly not
+        own = "".join(line() for _ in range(5))
+        rows += [(at, f"g/N{at}.java", "java", "// Code generated by stubgen. DO NOT EDIT.\n" + shared + own), (at + 1, f"g/N{at}.java", "java", shared + own + "".join(line() for _ in range(6)))]
+        at += 2
+    rows += [(at + k, f"h/H{k}.java", "java", "".join(line() for _ in range(30))) for k in range(20)]
+    gen = {k for k, _, _, text in rows if text.startswith("//")}
+    sets = {k: set(shingles(masked_tokens(text, False)).tolist()) for k, _, _, text in rows}
+    near = {k: {j for j in sets if len(sets[k] & sets[j]) * 5 >= 4 * len(sets[k] | sets[j])} for k in gen}
+    want = gen | {j for k in gen if len(near[k] & gen) * 5 >= len(near[k]) for j in near[k]}
+    assert len(want) == 300 and all(len(x) < 30 for x in near.values())
+    assert found(spark, rows) == want
