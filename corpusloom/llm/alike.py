@@ -20,8 +20,6 @@ BITS = 512
 CELLS, SHARED_CELLS, PAGES = 1 << 21, 1 << 24, 128
 #: shingles that may be broadcast, 8 bytes each; more are joined by a shuffle
 BROADCAST_ROWS = 400_000
-#: bytes of the candidates' sets up to which they are broadcast to be verified
-BROADCAST_BYTES = 16 << 20
 #: members of a bucket that are compared in one task; a larger bucket is split into pairs of tiles
 TILE = 2048
 
@@ -190,13 +188,20 @@ def _twice(counts: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(table, similarity: float, tile: int):
-    """For each set its parity map and the shingles of its prefix, rarest first by the broadcast table; and whether a shingle may fill more than a tile."""
+    """For each set its parity map and the shingles of its prefix, rarest first by the broadcast table; and whether a shingle may fill more than a tile.
+
+    Copies in one partition come out once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log = np.frombuffer(table.value, dtype=np.uint8)
+        seen: set[int] = set()
         for b in batches:
             rows = []
             for c, sh in zip(b["class"], b["sh"]):
+                if c in seen:
+                    continue
+                seen.add(c)
                 sh = np.asarray(sh, dtype=np.int64)
                 est = log[_cell(sh, CELLS)]
                 order = np.lexsort((sh, est))[: len(sh) - int(np.ceil(similarity * len(sh) - 1e-9)) + 1]
@@ -207,7 +212,10 @@ def _prefixes(table, similarity: float, tile: int):
 
 
 def _spots(table):
-    """(class, h, hot) of the shingles of prefixes that another prefix may have: those alone in their cell end here. The last ``n_hot`` of a prefix are hot."""
+    """(class, h, spot, hot) of the shingles of prefixes that another prefix may have: those alone in their cell end here. The last ``n_hot`` of a prefix are hot.
+
+    ``spot`` holds the size of the set and the shingle's place in the prefix, in 32 bits each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(table.value, dtype=np.uint8)
@@ -215,11 +223,63 @@ def _spots(table):
             if not len(b):
                 continue
             n = np.array([len(x) for x in b["prefix"]])
+            spot = np.concatenate([(size << 32) + np.arange(k) for size, k in zip(b["n"].astype(np.int64), n)])
             h = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["prefix"]])
             hot = np.concatenate([np.arange(k) >= k - m for k, m in zip(n, b["n_hot"])])
             cell = _cell(h, SHARED_CELLS)
             keep = (bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
-            yield pd.DataFrame({"class": np.repeat(b["class"].to_numpy(), n)[keep], "h": h[keep], "hot": hot[keep]})
+            yield pd.DataFrame({"class": np.repeat(b["class"].to_numpy(), n)[keep], "h": h[keep], "spot": spot[keep], "hot": hot[keep]})
+
+    return run
+
+
+def _able(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may be alike, if a shingle at these spots is the first they share: by their sizes and by what is left behind it."""
+    na, nb = a >> 32, b >> 32
+    left = np.minimum(na - (a & 0xFFFFFFFF), nb - (b & 0xFFFFFFFF))
+    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (left * (1 + similarity) >= similarity * (na + nb) - 1e-9)
+
+
+def _buckets(similarity: float):
+    """(h, m) of rows in order of h: the classes that have the shingle in their prefixes, without those for which no other is near enough.
+
+    Two sets that are alike pass at the first shingle they share, so each such pair stays together in one bucket at least.
+    """
+
+    def lists(h: np.ndarray, c: np.ndarray, spot: np.ndarray) -> pd.DataFrame:
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        n = np.diff(np.r_[start, len(h)])
+        i = start[n == 2]
+        i = i[(c[i] != c[i + 1]) & _able(spot[i], spot[i + 1], similarity)]
+        keys, found = [h[i]], list(np.sort(np.stack([c[i], c[i + 1]], axis=1), axis=1))
+        for k, size in zip(start[n > 2], n[n > 2]):
+            m, first = np.unique(c[k : k + size], return_index=True)
+            s = spot[k : k + size][first]
+            ok = _able(s[:, None], s[None, :], similarity)
+            np.fill_diagonal(ok, False)
+            m = m[ok.any(axis=1)]
+            if len(m):
+                keys.append(h[k : k + 1])
+                found.append(m)
+        return pd.DataFrame({"h": np.concatenate(keys), "m": pd.Series(found, dtype=object)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # the rows of the last shingle, which may go on
+        for b in batches:
+            if not len(b):
+                continue
+            if rest and b["h"].iloc[-1] == rest[0]["h"].iloc[-1]:
+                rest.append(b)
+                continue
+            b = pd.concat([*rest, b])
+            h = b["h"].to_numpy()
+            end = int(np.searchsorted(h, h[-1]))
+            rest = [b.iloc[end:]]
+            if end:
+                yield lists(h[:end], b["class"].to_numpy()[:end], b["spot"].to_numpy()[:end])
+        if rest:
+            b = pd.concat(rest)
+            yield lists(b["h"].to_numpy(), b["class"].to_numpy(), b["spot"].to_numpy())
 
     return run
 
@@ -283,9 +343,10 @@ def alike(chunks: DataFrame, similarity: float = SIMILARITY, least: int = WORDS,
 
     A class is a set of shingles; chunks with the same set are copies and compared once. Two sets of Jaccard similarity
     ``similarity`` or more share a shingle of their prefixes, which are taken in one order for all: by a table of
-    frequencies over the whole corpus, rarest first, then by hash. Members of a bucket (a shingle of prefixes) are compared
-    by bit-sliced distances of parity maps, which never exceed the true difference of the sets, and pairs within the
-    radius are verified on the sets. So no pair is lost, whatever the table's collisions; it only orders.
+    frequencies over the whole corpus, rarest first, then by hash. Of a bucket (a shingle of prefixes) those members are left
+    that no other is near enough to by sizes and places, if this is the first shingle both have. The others are compared by
+    bit-sliced distances of parity maps, which never exceed the true difference of the sets, and pairs within the radius
+    are verified on the sets. So no pair is lost, whatever the table's collisions; it only orders.
     A bucket of more than ``tile`` members is split into tiles and each pair of tiles is a group of its own.
 
     Repeated ids count by their latest delivery (null times are oldest, ties fall to the greater set hash). Null ids, null,
@@ -302,35 +363,35 @@ def alike(chunks: DataFrame, similarity: float = SIMILARITY, least: int = WORDS,
     one = sets.mapInPandas(_prefixes(table, similarity, tile), "class long, n int, map binary, prefix array<long>, n_hot int")
     # prefixes are cheaper to compute again from the sets than to write
     shared_cells = spark.sparkContext.broadcast(_table(one, "prefix", SHARED_CELLS, 2, _twice))
-    spots = one.select("class", "prefix", "n_hot").mapInPandas(_spots(shared_cells), "class long, h long, hot boolean")
-    # exact counts only of the shingles that may fill more than a tile
-    hot = spots.where("hot").groupBy("h", "class").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("x").alias("m")).where(F.col("m") > tile).select("h", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
-    hot = cut(hot)
-    # shingles that prefixes of two different sets have; nearly all have one, and these end here, in a map-side aggregate
-    shared = spots.groupBy("h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("h")
-    shared = cut(shared if hot.isEmpty() else shared.join(hot.select("h"), "h", "left_anti"))
-    few = shared.count() <= BROADCAST_ROWS
-    cool = spots.join(F.broadcast(shared) if few else shared, "h")
-    groups = cool.select(F.xxhash64("h").alias("g"), F.lit(False).alias("two"), "class", F.lit(0).alias("side"))
-    if not hot.isEmpty():
+    spots = one.select("class", "n", "prefix", "n_hot").mapInPandas(_spots(shared_cells), "class long, h long, spot long, hot boolean")
+    hot = None
+    if max(table.value) >= np.log2(tile) * 8:
+        # exact counts only of the shingles that may fill more than a tile
+        hot = cut(spots.where("hot").groupBy("h", "class").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("x").alias("m")).where(F.col("m") > tile).select("h", F.ceil(F.col("m") / tile).cast("int").alias("tiles")))
+        n_hot = hot.count()
+        hot = (F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot) if n_hot else None
+    # buckets of all other shingles are made where their rows meet; nearly all shingles have one class and end there
+    cool = (spots if hot is None else spots.join(hot.select("h"), "h", "left_anti")).select("h", "class", "spot")
+    lists = cool.repartition("h").sortWithinPartitions("h").mapInPandas(_buckets(similarity), "h long, m array<long>")
+    # texts that are alike share many shingles, so most buckets have the members of another
+    same = lists.groupBy("m").agg(F.min(F.xxhash64("h")).alias("g"))
+    once = same.select("g", F.lit(False).alias("two"), F.explode("m").alias("class"), F.lit(0).alias("side"))
+    if hot is not None:
         tiled = spots.where("hot").join(hot, "h").select("h", "tiles", "class", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("t")).distinct()
         tiled = tiled.select("h", "class", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
         tiled = tiled.select(F.xxhash64("h", F.least("t", "u"), F.greatest("t", "u")).alias("g"), (F.col("t") != F.col("u")).alias("two"), "class", F.when(F.col("t") < F.col("u"), 0).otherwise(1).alias("side"))
-        groups = groups.unionByName(tiled)
+        # a bucket has two tiles at most
+        same = tiled.groupBy("g", "two").agg(F.sort_array(F.collect_set(F.struct("class", "side"))).alias("m")).where("size(m) > 1").groupBy("two", "m").agg(F.min("g").alias("g"))
+        once = once.unionByName(same.select("g", "two", F.explode("m").alias("x")).select("g", "two", "x.class", "x.side"))
     maps = one.select("class", "n", "map").dropDuplicates(["class"])
-    # texts that are alike share many shingles, so most buckets have the members of another; a bucket has two tiles at most
-    same = groups.groupBy("g", "two").agg(F.sort_array(F.collect_set(F.struct("class", "side"))).alias("m")).where("size(m) > 1").groupBy("two", "m").agg(F.min("g").alias("g"))
-    once = same.select("g", "two", F.explode("m").alias("x")).select("g", "two", "x.class", "x.side")
     full = once.join(maps, "class").groupBy("g", "two").agg(F.collect_list(F.struct("class", "n", "map", "side")).alias("members"))
     pairs = cut(full.mapInPandas(_compare(similarity), "a long, b long").distinct())
     needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    few = cut(sets.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "class", "left_semi").dropDuplicates(["class"]))
+    # sets of the candidates only; both sides of the join read one shuffle of them
+    few = sets.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "class", "left_semi").dropDuplicates(["class"])
     x, y = few.select(F.col("class").alias("a"), F.col("sh").alias("sa")), few.select(F.col("class").alias("b"), F.col("sh").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
-    held = few.agg(F.sum(F.size("sh"))).first()[0] or 0  # sets of the candidates only; in a broadcast if they are small
-    if held * 8 <= BROADCAST_BYTES:
-        x, y = F.broadcast(x), F.broadcast(y)
     links = pairs.join(x, "a").join(y, "b").where(inter * 1000 >= union * int(round(similarity * 1000))).select("a", "b")
     return members, links
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from corpusloom.llm import alike, leaks, pii, secrets, split, tokenizer, truncation
 
@@ -76,6 +77,44 @@ def test_alike_against_brute_force(spark):
     assert alike.alike_pairs(d.where("false")).collect() == []
 
 
+def test_alike_shuffles_little(spark):
+    r = random.Random(9)
+    phrases = [" ".join(f"w{r.randint(0, 3000)}" for _ in range(r.randint(5, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choice(phrases) for _ in range(r.randint(12, 24))) for _ in range(900)]
+    texts += [t + " " + r.choice(phrases) for t in r.sample(texts, 100)]
+    d = spark.createDataFrame([(f"c{k:04}", t, AT) for k, t in enumerate(texts)], "id string, text string, ingested_at timestamp")
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = {(f"c{i:04}", f"c{j:04}") for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 10 >= 7 * len(sets[i] | sets[j])}
+
+    def written():
+        e = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(e.apply(k).totalShuffleWrite() for k in range(e.size()))
+
+    before = written()
+    assert {tuple(x) for x in alike.alike_pairs(d).collect()} == want
+    assert written() - before < 9.9 * sum(map(len, sets))  # bytes a shingle; it was 10.8 when the spots of shingles went through two shuffles
+
+
+def test_buckets_keep_those_that_may_be_alike():
+    g = np.random.default_rng(5)
+    n = 3000
+    size = g.integers(20, 60, 400)
+    c = g.integers(0, 400, n)
+    h = np.sort(g.integers(-40, 900, n) // g.integers(1, 40, n))  # many alone, many in twos, some hot
+    place = c % 7 * size[c] // 25  # copies of a class have one place
+    rows = pd.DataFrame({"class": c, "h": h, "spot": (size[c] << 32) + place})
+    want = set()
+    for k, b in rows.groupby("h"):
+        m = {x: (y >> 32, y & 0xFFFFFFFF) for x, y in zip(b["class"], b["spot"])}
+        ok = lambda x, y: min(x[0], y[0]) * 10 >= 7 * max(x[0], y[0]) and min(x[0] - x[1], y[0] - y[1]) * 17 >= 7 * (x[0] + y[0])
+        keep = tuple(sorted(x for x in m if any(x != y and ok(m[x], m[y]) for y in m)))
+        want |= {(k, keep)} if keep else set()
+    for at_once in (1, 17, n):
+        out = pd.concat(alike._buckets(0.7)(iter([rows[i : i + at_once] for i in range(0, n, at_once)])))
+        assert len(out) == len(want) and {(x, tuple(int(z) for z in y)) for x, y in zip(out["h"], out["m"])} == want
+    assert sum(map(len, (m for _, m in want))) < 0.9 * n and list(alike._buckets(0.7)(iter([]))) == []
+
+
 def test_pieces_round_trip():
     r = random.Random(5)
     for _ in range(150):
